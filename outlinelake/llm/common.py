@@ -130,7 +130,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(wide[a : b - width + 1]))
         elif b > a:
-            short = _U((b - a) * 0x2545F4914F6CDD1D & _MASK)
+            short = _U(int(b - a) * 0x2545F4914F6CDD1D & _MASK)
             for k in range(a, b):
                 short = mix(np.array([short ^ words[k]], dtype=_U))[0]
             out.append(np.array([short], dtype=_U))

@@ -35,7 +35,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         step = materialize(_small_star(_large_star(edges)), "edges")
         discard(spark, edges)
         edges = step
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum("b").cast("string")).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = now
