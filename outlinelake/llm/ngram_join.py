@@ -4,8 +4,9 @@ The matrix is dealt into column blocks (ranges of shingle hashes), shipped as pa
 the columns that two or more different rows share, and sends these back to the rows. Two size-derived bounds then
 discard rows: a row can link only if it shares at least ceil(t * n) of its n shingles with others, and it need be
 looked up only through its n - ceil(t * n) + 1 rarest shingles. For the rows and columns that are left, overlap
-counts are taken between pairs. Links inside what is already one component add nothing to the classes, so pairs are
-first proposed as stars around one row a column, and pairs between components only afterwards.
+counts are taken between pairs. Links inside what is already one component add nothing to the classes, so rows are
+first compared with one central row a column, and rows of different components only afterwards, a pair of blocks at a
+time, of which only the links leave the task.
 
 Rows with equal shingle sets are one row of the matrix, so groups of copies cost one row.
 """
@@ -26,8 +27,11 @@ from outlinelake.llm.components import components
 #: Incidences in a column block, and in what a task packs at a time.
 BLOCK = 4_000_000
 CHUNK = 2_000_000
-#: Rounds of stars before pairs between components are compared one by one.
-STAR_ROUNDS = 3
+#: Rounds of stars before pairs between components are compared.
+STAR_ROUNDS = 1
+#: Rows in a block of a cluster, and columns in a slice of its dense product.
+MEMBERS = 512
+SLICE = 8192
 
 _U = np.uint64
 _KEYS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64())])
@@ -200,38 +204,85 @@ def _sizes_agree(percent: int):
     return F.lit(100) * small.cast("long") >= F.lit(percent) * large.cast("long")
 
 
+def _block_links(percent: int):
+    """Links between rows of one pair of blocks that are of different components, by a dense product over their common columns."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blocks = group.column("block").to_numpy()
+        keys, comps, sizes = (group.column(c).to_numpy() for c in ("key", "comp", "n"))
+        lists = group.column("columns").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        cells, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(keys)), np.diff(offsets))
+        names, column, times = np.unique(cells, return_inverse=True, return_counts=True)
+        useful = times[column] > 1
+        owner, column = owner[useful], column[useful]
+        names, column = np.unique(column, return_inverse=True)
+        left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+        place = np.empty(len(keys), dtype=np.int64)
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+        for lo in range(0, len(names), SLICE):
+            inside = (column >= lo) & (column < lo + SLICE)
+            sides = []
+            for side in (left, right):
+                place[:] = -1
+                place[side] = np.arange(len(side))
+                dense = np.zeros((len(side), min(SLICE, len(names) - lo)), dtype=np.float32)
+                own = inside & (place[owner] >= 0)
+                dense[place[owner[own]], column[own] - lo] = 1
+                sides.append(dense)
+            overlap += sides[0] @ sides[1].T
+        overlap = overlap.astype(np.int64)
+        union = sizes[left][:, None].astype(np.int64) + sizes[right][None, :] - overlap
+        linked = (100 * overlap >= percent * union) & (comps[left][:, None] != comps[right][None, :])
+        i, j = np.nonzero(linked)
+        return pa.table([pa.array(keys[left[i]], pa.int64()), pa.array(keys[right[j]], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _stars(rows: DataFrame, state: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links of every column's rows to the column's most central row, the one with the fewest shingles of its own."""
+    alone = (F.col("n") - F.col("shared")) / F.col("n") * (1 + F.pmod(F.xxhash64(F.lit(turn), F.col("key")), F.lit(turn + 1)))
+    rank = F.struct(alone.alias("alone"), F.xxhash64(F.lit(turn), F.col("key")).alias("r"), F.col("key"), F.col("n"), F.col("comp"))
+    hubs = state.groupBy("column").agg(F.min(rank).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    met = state.join(hubs.select("column", "hub"), "column").where("comp <> hub.comp").select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
+    return _verified(rows, met.where(_sizes_agree(percent)).select("a", "b").distinct(), percent)
+
+
+def _between_components(rows: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """All links between rows of different components that share a prefix column.
+
+    Rows that prefix columns connect form a cluster. A cluster's rows are dealt into blocks, those of its largest
+    component apart from the others, and every pair of blocks with others in it is one small matrix product.
+    """
+    lows = state.groupBy("column").agg(F.min("key").alias("low"))
+    cluster = components(state.join(lows, "column").select(F.col("key").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    members = state.select("key", "comp").distinct().join(cluster, "key")
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("in_main"), F.sum("m").alias("in_all"))
+    placed = members.join(sizes, "cluster").withColumn("outer", F.ceil((F.col("in_all") - F.col("in_main")) / MEMBERS).cast("int")).withColumn("inner", F.ceil(F.col("in_main") / MEMBERS).cast("int")).where("outer > 0")
+    is_main = F.col("comp") == F.col("main")
+    block = F.when(is_main, F.col("outer") + F.pmod(F.xxhash64("key"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("key"), F.col("outer"))).cast("int")
+    partners = F.sequence(F.lit(0), F.when(is_main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    dealt = placed.withColumn("block", block).select("key", "comp", "cluster", "block", F.explode(partners).alias("other"))
+    pairs = dealt.select("key", "comp", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs.join(rows.select("key", "n", "columns"), "key").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def _row_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links between rows, enough of them that their components are those of all links."""
-    spark = rows.sparkSession
     share = percent / 100
     prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1 - (F.col("n") - F.col("shared"))).cast("int")
-    posts = materialize(rows.withColumn("prefix", prefix).where("prefix > 0").select("key", "n", F.explode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("column")), "posts")
-    state = posts.select("column", "key", "n", F.col("key").alias("comp"))
+    posts = materialize(rows.withColumn("prefix", prefix).where("prefix > 0").select("key", "n", "shared", F.explode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("column")), "posts")
+    state = posts.withColumn("comp", F.col("key"))
     links = None
-    tried = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64(F.lit(turn), F.col("key")).alias("r"), F.col("key"), F.col("n"), F.col("comp"))
-            hubs = state.groupBy("column").agg(F.min(rank).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            met = state.join(hubs.select("column", "hub"), "column").where("comp <> hub.comp").select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
-        else:
-            met = state.alias("x").join(state.alias("y"), "column").where("x.key < y.key and x.comp <> y.comp").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-        pairs = met.where(_sizes_agree(percent)).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = _verified(rows, pairs, percent)
+    for turn in range(STAR_ROUNDS):
+        found = _stars(rows, state, percent, turn)
         links = materialize(found if links is None else links.union(found), "links")
-        if turn == STAR_ROUNDS:
-            return links
-        tried = pairs if tried is None else tried.union(pairs)
         comp = components(links)
-        state = posts.join(comp.withColumnRenamed("node", "key"), "key", "left").select("column", "key", "n", F.coalesce("component", "key").alias("comp"))
+        state = posts.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
         open_columns = state.groupBy("column").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("column")
         state = materialize(state.join(open_columns, "column", "left_semi"), "state")
-        if state.isEmpty():
-            return links
-    return links
+    return materialize(links.union(_between_components(rows, state, percent)), "links")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from outlinelake.llm.common import table
 from outlinelake.llm.decontamination import contaminated_spans
+from outlinelake.llm.fingerprints import fingerprints
 from outlinelake.llm.licenses import known_digests, scan_licenses
 from outlinelake.llm.mixing import mix_by_source
 from outlinelake.llm.ngram_join import jaccard_classes
 from outlinelake.llm.quality import classify
+from outlinelake.llm.secrets import scan_secrets
+from outlinelake.llm.suffix_dedup import repeated_spans
 from outlinelake.llm.token_counts import context_limits, length_histogram
 from outlinelake.llm.token_output import token_output
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -24,6 +31,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "bits", "threshold", "keep")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality, op6_decontamination, op7_licenses, op8_token_output, op9_ngram_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op2_token_counts, op3_quality, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_licenses, op8_token_output, op9_ngram_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
