@@ -36,16 +36,21 @@ def _tokenized(path: str, end_id: int):
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 packed = [p + end for p in words.packed(some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(p) // 2 for p in packed], pa.int64()), pa.array([zlib.compress(p, 1) for p in packed], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(p) // 2 for p in packed], pa.int64()), pa.array([pa.compress(p, codec="zstd", asbytes=True) for p in packed], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for n, blob in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True):
+        yield pa.decompress(blob.as_buffer(), decompressed_size=2 * n, codec="zstd", asbytes=True)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for blob in batch.column("ids"):
-            counts += np.bincount(np.frombuffer(zlib.decompress(blob.as_buffer()), "<u2"), minlength=1 << 16)
+        held = b"".join(_unpacked(batch))
+        counts += np.bincount(np.frombuffer(held, "<u2"), minlength=1 << 16)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 
@@ -63,8 +68,8 @@ def _blocks(freq: np.ndarray):
 
         part = 0
         for batch in batches:
-            for doc, blob, part in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("part").to_pylist(), strict=True):
-                docs.append((doc, zlib.decompress(blob.as_buffer())))
+            for doc, ids, part in zip(batch.column("doc_id").to_pylist(), _unpacked(batch), batch.column("part").to_pylist(), strict=True):
+                docs.append((doc, ids))
                 held += len(docs[-1][1]) // 2
                 if held >= BLOCK:
                     yield close()
@@ -99,7 +104,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     ids = materialize(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_tokenized(path or vocabulary(), end_id), _IDS), "ids")
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for row in ids.select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.select("n_tokens", "ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     freq = rans.quantised(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, frequency int").coalesce(1).write.parquet(f"{folder}/frequencies")

@@ -1,7 +1,8 @@
 """Exact token ids of whole texts, with a bounded memory of words.
 
 The vocabulary's pre-tokenizer never joins text across ASCII white space, so a text's ids are those of its words in
-order. A word seen before is looked up; unseen words go through the tokenizers library many at a time.
+order. A word seen before is looked up. An unseen run of letters goes to the library's model, punctuation after it is
+looked up apart, and any other word goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 import os
 import sys
 import types
+import unicodedata
 
 import numpy as np
 
 #: Words remembered by one worker process; the memory starts afresh beyond.
-WORDS = 600_000
+WORDS = 500_000
+_TAIL = b"!#$%&()*+,-./:;=?@]_|\""
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +25,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others for those from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """From a word's UTF-8 bytes to its ids as packed little-endian unsigned 16-bit integers."""
 
@@ -29,53 +39,51 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        if self.model.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        self.library = Tokenizer.from_file(path)
+        if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.ends = np.zeros(1 << 16, dtype=bool)
-        self.ends[[i for word, i in self.model.get_vocab().items() if word.endswith("</w>")]] = True
+        self.model = self.library.model
+        self.letters = _byte_letters()
+        # runs of letters may skip the pipeline only if it does to them what _letters() does
+        probe = ["Thing", "\u00c9t\u00e9s", "Stra\u00dfe", "\u03a3\u03c4\u03a3"]
+        self.direct = all(self._whole(w.encode()) == self._letters(w) for w in probe)
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _letters(self, text: str) -> bytes | None:
+        """Ids of a run of letters; None if the pipeline might treat it otherwise."""
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                return None
+            text = "".join(map(str.lower, text))
+            if not text.isalpha():
+                return None
+            return self._tokenized(text.encode().decode("latin-1").translate(self.letters))
+        return self._tokenized(text.lower())
+
+    def _tokenized(self, text: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(text)])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.model.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u2").tobytes()
-        self[word] = ids
-        return ids
-
-    def learn(self, words: set[bytes]) -> None:
-        """Remember unseen words; a run of letters and the punctuation after it are looked up apart."""
-        parts: dict[bytes, tuple[str, bytes]] = {}
-        for word in words:
-            core = word.rstrip(b"!#$%&()*+,-./:;=?@]_|\"")
+        if len(self) >= WORDS:
+            self.clear()
+        ids = None
+        if self.direct:
+            core = word.rstrip(_TAIL)
             text = core.decode("utf-8", "replace")
-            text = text.lower() if text.isascii() else text  # beyond ASCII the library's own rule differs from lower()
             if text.isalpha():
-                parts[word] = (text, word[len(core) :])
-        fresh = sorted({text for text, _ in parts.values() if text.encode() not in self})
-        for at in range(0, len(fresh), 2000):
-            some = fresh[at : at + 2000]
-            ids = np.array(self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                continue
-            packed, last = ids.tobytes(), 0
-            for text, cut in zip(some, cuts.tolist(), strict=True):
-                self[text.encode()] = packed[2 * last : 2 * cut]
-                last = cut
-        for word, (text, tail) in parts.items():
-            if word not in self and text.encode() in self:
-                self[word] = self[text.encode()] + (self[tail] if tail else b"")
+                ids = self._letters(text)
+                if ids is not None and len(core) < len(word):
+                    ids += self[word[len(core) :]]
+        if ids is None:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        for at in range(0, len(split), 200):
-            some = split[at : at + 200]
-            unseen = {w for words in some for w in words if w not in self}
-            if len(self) + len(unseen) > WORDS:
-                self.clear()
-                unseen = {w for words in some for w in words}
-            self.learn(unseen)
-            split[at : at + 200] = [b"".join(map(self.__getitem__, words)) for words in some]
-        return split
+        return [b"".join(map(self.__getitem__, (t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
 
 
 def word_ids(path: str) -> WordIds:
