@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -51,6 +52,12 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_words() -> None:
+    """Free what an earlier token stage remembers in this worker process."""
+    if kept := sys.modules.get("_outlinelake_words"):
+        kept.by_path.clear()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -184,11 +184,11 @@ def _regions(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, probes:
             yield int(t[j]), int(p[j]), lo, min(int(end[j]), int(bounds[t[j] + 1])), int(edits[j])
 
 
-def _found(texts: list[str | None], probes: Probes) -> Iterator[tuple[int, int, int, int, int, int]]:
+def _found(texts: pa.Array, probes: Probes) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item, start, end, probes, edits) in code points of the texts, one row for each text and item."""
     at, group, size = 0, [], 0
     for i, text in enumerate(texts):
-        group.append(_fold(text))
+        group.append(_fold(text.as_py()))
         size += len(group[-1][0])
         if size >= CHUNK or i == len(texts) - 1:
             sizes = np.array([len(c) for c, _ in group])
@@ -212,7 +212,7 @@ def _spans(items: list):
         probes = Probes(items)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[t], *rest) for t, *rest in _found(batch.column("text").to_pylist(), probes)]
+            rows = [(ids[t], *rest) for t, *rest in _found(batch.column("text"), probes)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k > 3 else pa.int64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "start", "end", "n_probes", "edits"])
 
@@ -224,7 +224,7 @@ def _clean(items: list):
         probes = Probes(items)
         for batch in batches:
             mask = np.ones(batch.num_rows, dtype=bool)
-            mask[[t for t, *_ in _found(batch.column("text").to_pylist(), probes)]] = False
+            mask[[t for t, *_ in _found(batch.column("text"), probes)]] = False
             yield batch.filter(pa.array(mask))
 
     return run

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlinelake.llm.common import materialize, mix, shingle_sets, text_or_empty
+from outlinelake.llm.common import materialize, mix, release_words, shingle_sets, text_or_empty
 from outlinelake.llm.components import components
 
 #: Incidences in a column block, and in what a task packs at a time.
-BLOCK = 4_000_000
-CHUNK = 2_000_000
+BLOCK = 2_500_000
+CHUNK = 1_000_000
 #: Rounds of stars before pairs between components are compared.
 STAR_ROUNDS = 1
 #: Rows in a block of a cluster, and columns in a slice of its dense product.
@@ -113,6 +113,7 @@ def _deal(width: int, n_blocks: int):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=_BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         rows: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:

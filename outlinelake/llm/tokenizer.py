@@ -88,9 +88,10 @@ class WordIds(dict):
 
 def word_ids(path: str) -> WordIds:
     """One memory for each worker process and vocabulary."""
-    kept = sys.modules.setdefault("_outlinelake_words", types.ModuleType("_outlinelake_words"))
-    if not hasattr(kept, "by_path"):
-        kept.by_path = {}
+    if "_outlinelake_words" not in sys.modules:
+        sys.modules["_outlinelake_words"] = types.ModuleType("_outlinelake_words")
+        sys.modules["_outlinelake_words"].by_path = {}
+    kept = sys.modules["_outlinelake_words"]
     if path not in kept.by_path:
         kept.by_path[path] = WordIds(path)
     return kept.by_path[path]
