@@ -65,5 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, SQL lacks the tokenizer, the hashes, the alignment or the flow, or is too slow on whole tables; tests/llm compares them with brute force."""
+    """Of the others, SQL lacks the tokenizer, the hashes, the alignment or the flow, or is too slow on whole tables; tests/llm has small fixtures for them."""
     return {"op7_licenses": oracles.licenses(), "op9_ngram_join": oracles.NGRAM_JOIN}
