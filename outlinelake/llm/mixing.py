@@ -160,10 +160,10 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 def mix_by_source(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and taken, each source as a pattern of its own.
 
-    docs: doc_id, text, source and any other columns but these. Null text has no words; a null source is a source.
+    docs: doc_id, text, source and any other columns; of those four names, the results take the place. Null text has no words; a null source is a source.
     Repeated rows share one place in the order and are taken alike. An empty table gives no rows. Reruns agree.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("size", "source_size", "target", "taken")
     targets = source_targets(docs)
     plan = mixing_plan(docs, F.array("source"), {s: round(t) for s, _, t in targets})
     by_source = spark.createDataFrame([(s, n, float(t)) for s, n, t in targets], "source string, source_size long, target double")
