@@ -126,19 +126,19 @@ class Probes:
         return np.repeat(maybe, n), self.probe[spread], self.place[spread]
 
 
-def _aligned(chars: np.ndarray, probes: Probes, probe: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits between each probe and a text region on its diagonals low to low + width - 1, and where that region ends."""
+def _aligned(chars: np.ndarray, first: np.ndarray, last: np.ndarray, probes: Probes, probe: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each probe and a region of its own text, chars[first:last], on its diagonals low to low + width - 1, and where that region ends."""
     size, edits = probes.size[probe], probes.edits[probe]
     width = int((2 * (edits + 1)).max()) + 2 * int(edits.max()) + 1
     low = low - edits
     lanes = np.arange(width)
     far = 1 << 20
     cost = np.zeros((len(probe), width), dtype=np.int64)
-    cost[(low[:, None] + lanes < 0) | (low[:, None] + lanes > len(chars))] = far
+    cost[(low[:, None] + lanes < first[:, None]) | (low[:, None] + lanes > last[:, None])] = far
     final = cost.copy()
     for i in range(int(size.max())):
         at = low[:, None] + lanes + i  # the text place that meets probe character i on each diagonal
-        inside = (at >= 0) & (at < len(chars))
+        inside = (at >= first[:, None]) & (at < last[:, None])
         letter = chars[np.clip(at, 0, max(0, len(chars) - 1))]
         step = cost + np.where(inside, (letter != probes.chars[probe, np.minimum(i, PROBE - 1)][:, None]).astype(np.int64), far)
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # a probe character without a partner
@@ -178,7 +178,7 @@ def _regions(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, probes:
     for at in range(0, len(text), 4096):
         t, p, b = text[at : at + 4096], probe[at : at + 4096], band[at : at + 4096]
         low = b * (probes.edits[p] + 1) - PROBE
-        edits, end = _aligned(chars, probes, p, low)
+        edits, end = _aligned(chars, bounds[t], bounds[t + 1], probes, p, low)
         for j in np.flatnonzero(edits <= probes.edits[p]):
             lo = max(int(end[j] - probes.size[p[j]]), int(bounds[t[j]]))
             yield int(t[j]), int(p[j]), lo, min(int(end[j]), int(bounds[t[j] + 1])), int(edits[j])
