@@ -4,11 +4,13 @@ Texts are folded to lower case, with every run of other characters than letters
 covered by overlapping probes, so that a long enough part of it holds a whole probe. A text region within e edits of a
 probe of m characters shares at least m + 1 - q * (e + 1) q-grams with it, on diagonals that differ by at most e. Shared
 q-grams are therefore counted in overlapping diagonal bands; bands that reach the bound are aligned within the band.
+Items too short for this are found where the whole folded item stands between word boundaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ PROBE = 96
 STEP = 48
 #: Edits that are allowed, as a share of a probe's length.
 ERRORS = 0.06
-#: Shorter folded items carry too little to tell; they are left out.
+#: Shorter folded items are looked for as a whole, without edits.
 LEAST_ITEM = 40
 #: Folded characters of the benchmark that one pass over the documents indexes; longer benchmarks take several.
 BLOCK = 4_000_000
@@ -87,10 +89,13 @@ class Probes:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items, texts = [], []
+        self.short: dict[int, dict[bytes, list]] = {}
         for item, text in items:
             chars, _ = _fold(text)
             chars = chars[: len(chars) - int(len(chars) > 0 and chars[-1] == 0x20)]
             if len(chars) < LEAST_ITEM:
+                if len(chars):
+                    self.short.setdefault(len(chars), {}).setdefault(chars.astype(np.uint32).tobytes(), []).append(item)
                 continue
             starts = list(range(0, max(1, len(chars) - PROBE + 1), STEP))
             if len(chars) > PROBE and starts[-1] + PROBE < len(chars):
@@ -184,7 +189,30 @@ def _regions(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, probes:
             yield int(t[j]), int(p[j]), lo, min(int(end[j]), int(bounds[t[j] + 1])), int(edits[j])
 
 
-def _found(texts: pa.Array, probes: Probes) -> Iterator[tuple[int, int, int, int, int, int]]:
+def _whole(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, short: dict[int, dict[bytes, list]]) -> Iterator[tuple[int, int | None, int, int]]:
+    """(text, item, start, end), places in chars, of each short item that stands between word boundaries of a text."""
+    if not short or not len(chars):
+        return
+    space = chars == 0x20
+    first, last = ~space, ~space  # of a word
+    first[1:] &= space[:-1] | (owners[1:] != owners[:-1])
+    last[:-1] &= space[1:] | (owners[1:] != owners[:-1])
+    begins = np.flatnonzero(first)
+    for size, known in short.items():
+        power = mix(np.arange(1, size + 1, dtype=_U) * _U(_BASE))
+        digest = lambda rows: (rows.astype(_U) * power).sum(axis=1, dtype=_U)  # noqa: B023, E731
+        at = begins[begins + size <= len(chars)]
+        at = at[last[at + size - 1] & (owners[at] == owners[at + size - 1])]
+        wanted = digest(np.stack([np.frombuffer(k, dtype=np.uint32) for k in known]))
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            windows = chars[some[:, None] + np.arange(size)]
+            for j in np.flatnonzero(np.isin(digest(windows), wanted)):
+                for item in known.get(windows[j].astype(np.uint32).tobytes(), ()):
+                    yield int(owners[some[j]]), item, int(some[j]), int(some[j]) + size
+
+
+def _found(texts: pa.Array, probes: Probes) -> Iterator[tuple[int, int | None, int, int, int, int]]:
     """(text, item, start, end, probes, edits) in code points of the texts, one row for each text and item."""
     at, group, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -195,18 +223,24 @@ def _found(texts: pa.Array, probes: Probes) -> Iterator[tuple[int, int, int, int
             bounds = np.concatenate(([0], np.cumsum(sizes)))
             chars = np.concatenate([c for c, _ in group])
             owners = np.repeat(np.arange(len(group)), sizes)
-            merged: dict[tuple[int, int], list] = {}
-            for t, p, lo, hi, edits in _regions(chars, owners, bounds, probes):
+            merged: dict[tuple[int, int | None], list] = {}
+            whole = ((t, -1, lo, hi, 0, item) for t, item, lo, hi in _whole(chars, owners, bounds, probes.short))
+            parts = ((*region, probes.items[region[1]]) for region in _regions(chars, owners, bounds, probes))
+            for t, p, lo, hi, edits, item in chain(parts, whole):
                 places = group[t][1]
                 first, last = int(places[lo - bounds[t]]), int(places[max(lo, hi - 1) - bounds[t]]) + 1
-                row = merged.setdefault((t, probes.items[p]), [first, last, {}])
+                row = merged.setdefault((t, item), [first, last, {}])
                 row[0], row[1] = min(row[0], first), max(row[1], last)
                 row[2][p] = min(edits, row[2].get(p, edits))
-            for (t, item), (first, last, by_probe) in sorted(merged.items()):
+            for (t, item), (first, last, by_probe) in sorted(merged.items(), key=lambda x: (x[0][0], _by_id(x[0][1]))):
                 yield at + t, item, first, last, len(by_probe), sum(by_probe.values())
             at, group, size = i + 1, [], 0
 
 
+def _by_id(item: int | None) -> tuple[bool, int]:
+    return item is not None, item or 0
+
+
 def _spans(items: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = Probes(items)
@@ -230,18 +264,18 @@ def _clean(items: list):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of bounded size, read a partition at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).where("item_id is not null").distinct()
+    rows = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).distinct()
     for row in rows.toLocalIterator():
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
         if size >= BLOCK:
-            yield sorted(block)
+            yield sorted(block, key=lambda x: (_by_id(x[0]), x[1]))
             block, size = [], 0
     if block:
-        yield sorted(block)
+        yield sorted(block, key=lambda x: (_by_id(x[0]), x[1]))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -249,19 +283,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: doc_id and text; benchmark: item_id and text; other columns are ignored. start and end are code points, end
     exclusive, of the least region that covers all probes found. Null or empty text holds nothing; items with a null id
-    or fewer than 40 folded characters are left out; repeated items count once, repeated documents are all reported. Empty tables
+    are left out; those of fewer than 40 folded characters are found whole, between word boundaries, as one probe; repeated items count once, repeated documents are all reported. Empty tables
     give no rows. Of an item, any part of 144 folded characters is found within the edit budget of 6 %.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     out = spark.createDataFrame([], _SPANS)
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark.where("item_id is not null")):
         out = out.unionByName(texts.mapInArrow(_spans(block), _SPANS))
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
+    """The rows of docs, with all their columns, that hold no benchmark item; items with a null id count too."""
     for block in _blocks(benchmark):
         docs = docs.mapInArrow(_clean(block), docs.schema)
     return docs
