@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlinelake.llm.common import text_or_empty
+from outlinelake.llm.common import materialize, text_or_empty
 
 #: Code points between the starts of two parts of one credential, at most.
 SCOPE = 512
@@ -31,26 +31,37 @@ SCANNED = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 BASE = ("assign", "access", "hex")
 
 
-def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
-    """Of each match: code points since the last one, its length, and its counted group's; an odd last entry has no match."""
+def _matches(text: Column, rank: int, kind: str, pattern: str, group: int) -> Column:
+    """Of each match: its kind's rank, its number, code points since the last one, its length, and its counted group's; an odd last entry has no match."""
     scan = F.lit(SCANNED.get(kind, pattern))
     lengths = lambda a: F.transform(a, lambda x: F.char_length(x))
-    zipped = F.arrays_zip(lengths(F.split(text, SCANNED.get(kind, pattern), -1)).alias("gap"), lengths(F.regexp_extract_all(text, scan, F.lit(0))).alias("size"), lengths(F.regexp_extract_all(text, scan, F.lit(group))).alias("counted"))
-    return F.when(text.rlike(SCANNED.get(kind, pattern)), zipped)
-
-
-def find_parts(texts: DataFrame) -> DataFrame:
-    """Every candidate: doc_id, mark, kind, rank, start, end in code points. texts: doc_id, text, mark."""
-    parts = None
-    for rank, (kind, pattern, group, least) in enumerate(KINDS):
-        found = texts.select("doc_id", "mark", F.posexplode(_matches(F.col("text"), kind, pattern, group)).alias("at", "m"))
-        found = found.select("doc_id", "mark", F.lit(rank).alias("rank"), "at", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), (F.col("m.counted") >= least).alias("passes"))
-        parts = found if parts is None else parts.unionByName(found)
-    parts = parts.repartition("doc_id", "mark").dropDuplicates(["doc_id", "mark", "rank", "at"])
+    found = [lengths(F.split(text, SCANNED.get(kind, pattern), -1)).alias("gap"), lengths(F.regexp_extract_all(text, scan, F.lit(0))).alias("size")]
+    if group:  # else the counted part is the match
+        found.append(lengths(F.regexp_extract_all(text, scan, F.lit(group))).alias("counted"))
+    counted = lambda m: m["counted"] if group else m["size"]
+    entry = lambda m, at: F.struct(F.lit(rank).alias("rank"), at.alias("at"), m["gap"].alias("gap"), m["size"].alias("size"), counted(m).alias("counted"))
+    none = F.array().cast("array<struct<rank:int,at:int,gap:int,size:int,counted:int>>")
+    return F.when(text.rlike(SCANNED.get(kind, pattern)), F.transform(F.arrays_zip(*found), entry)).otherwise(none)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (the text's digest) and found (all kinds' matches) of each row of docs; the last two are null where a text has none.
+
+    The one pass over the texts, written to the shared folder: all that follows reads this small table.
+    """
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("any", F.col("text").rlike(ANY))
+    found = F.concat(*[_matches(F.col("text"), rank, kind, pattern, group) for rank, (kind, pattern, group, _) in enumerate(KINDS)])
+    return materialize(texts.select("doc_id", F.when(F.col("any"), F.md5("text")).alias("mark"), F.when(F.col("any"), found).alias("found")), "secrets")
+
+
+def find_parts(rows: DataFrame) -> DataFrame:
+    """Every candidate: doc_id, mark, kind, rank, start, end in code points. rows: as from scanned()."""
+    each = rows.where("found is not null").select("doc_id", "mark", F.explode("found").alias("m")).select("doc_id", "mark", "m.*")
+    parts = each.repartition("doc_id", "mark").dropDuplicates(["doc_id", "mark", "rank", "at"])
     before = Window.partitionBy("doc_id", "mark", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     ends = parts.withColumn("end", F.sum(F.col("gap").cast("long") + F.coalesce("size", F.lit(0))).over(before))
-    kinds = F.array(*[F.lit(k[0]) for k in KINDS])
-    return ends.where("passes").select("doc_id", "mark", kinds[F.col("rank")].alias("kind"), "rank", (F.col("end") - F.col("size")).alias("start"), "end")
+    least, kinds = (F.array(*[F.lit(k[i]) for k in KINDS]) for i in (3, 0))
+    return ends.where(F.col("counted") >= least[F.col("rank")]).select("doc_id", "mark", kinds[F.col("rank")].alias("kind"), "rank", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def _linked(parts: DataFrame) -> DataFrame:
@@ -74,8 +85,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     empty list. Rows of one doc_id with different texts are scanned apart; repeated rows come out as often as they came
     in. An empty table gives no rows.
     """
-    marked = docs.select("doc_id", text_or_empty().alias("text")).withColumn("mark", F.when(F.col("text").rlike(ANY), F.md5("text")))
-    parts = find_parts(marked.where("mark is not null"))
+    marked = scanned(docs)
+    parts = materialize(find_parts(marked), "secret-parts")
     spans = parts.where(F.col("kind").isin(*BASE)).unionByName(_linked(parts))
     listed = F.array_sort(F.collect_list(F.struct("start", "rank", F.concat_ws(":", "kind", "start", "end").alias("span"))))
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["span"]), ",")
