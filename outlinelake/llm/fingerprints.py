@@ -7,18 +7,21 @@ entry, and entries carry positions, so the match can be found again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlinelake.llm.common import SPACES, text_or_empty
+from outlinelake.llm.common import SPACES, materialize, text_or_empty
 
 K = 5
 W = 16
 #: Low bits of an entry that hold the position, in words; the others are the k-gram's hash.
 PLACE_BITS = 28
-#: Rows to a bucket of neighbouring documents, about, and buckets at most.
+#: Rows to a range of neighbouring documents, about. Ranges are parts of sections, which splitters part; a section has as
+#: many ranges as its rows need, so only the number of sections is bounded.
 BUCKET_ROWS = 1000
-BUCKETS = 1 << 14
+SECTIONS = 256
 
 _LOW = (1 << 32) - 1
 _PLACES = (1 << PLACE_BITS) - 1
@@ -60,41 +63,63 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def _bucket(spark: SparkSession, docs: DataFrame) -> tuple[Column, int]:
-    """A column that numbers ranges of doc_id with about equally many rows, from sampled splitters, by binary search; null is below all."""
-    rows = docs.count()
-    n = max(1, min(BUCKETS, rows // BUCKET_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
+def _splitters(docs: DataFrame) -> list[int]:
+    """Sampled splitters of doc_id; an id with many rows is a section of its own."""
+    sections = max(1, min(SECTIONS, docs.count() // BUCKET_ROWS))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / sections for k in range(1, sections)] or [0.5], 100 * sections)).first()[0] or []
+    top = (1 << 63) - 1
+    often = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < top}
+    return sorted({*cuts, *(c + 1 for c in often)})
+
+
+def _section(cuts: list[int]) -> Column:
+    """Number of the section of a doc_id, by binary search; null is -1."""
     steps = max(1, len(cuts).bit_length())
     top = (1 << 63) - 1
     edges = F.array(*[F.lit(c).cast("long") for c in cuts], *[F.lit(top).cast("long")] * ((1 << steps) - len(cuts)))
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
-    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(edges, at + half - 1) <= F.col("doc_id"), at + half).otherwise(at)), len(cuts) + 1
+    found = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(edges, at + half - 1) <= F.col("doc_id"), at + half).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(found, F.lit(len(cuts))))
 
 
-def with_next(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """docs (doc_id, text and the columns of extra) with next_text and next_<extra>: those of the next row in descending doc_id.
+def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], extra: list[str]) -> DataFrame:
+    """docs (doc_id, text) with what prepare adds, and next_text and next_<extra>: those of the next row in descending doc_id.
 
-    After the last row comes the first. Rows of one doc_id follow in the order of a hash of their text; null ids come last.
-    Documents are dealt by ranges of doc_id; each range also gets the first row of the range that follows.
+    After the last row comes the first. Rows of one doc_id follow in the order of a hash of their text; null ids come
+    last. Documents are dealt by ranges of that order: sections between sampled splitters, cut into parts by interpolation
+    over their ids, or over the hash where a section has one id or none. Each range also gets the first row of the range
+    that follows, found before prepare runs, so that prepare sees each document once, and each range's first row twice.
     """
     spark = docs.sparkSession
-    bucket, _ = _bucket(spark, docs)
-    rows = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_bucket", bucket).withColumn("_ghost", F.lit(0))
-    thin = docs.select("doc_id", F.xxhash64("text").alias("_tie")).withColumn("_bucket", bucket)
-    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")
-    heads = sorted((r["_bucket"], r["head"]) for r in thin.groupBy("_bucket").agg(F.max(rank).alias("head")).collect())  # a row for each range
-    if not heads:
-        return docs.select("*", F.lit(None).cast("string").alias("next_text"), *[F.col(c).alias(f"next_{c}") for c in extra])
-    follows = [(heads[i][0], h["doc_id"], h["_tie"]) for i in range(len(heads)) for h in [heads[i - 1][1]]]
-    wanted = F.broadcast(spark.createDataFrame(follows, "bucket int, id long, tie long"))
-    ghosts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie"))).withColumn("_bucket", F.col("bucket")).withColumn("_ghost", F.lit(1)).select(*rows.columns).dropDuplicates(["_bucket"])
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc("_tie"))
-    out = rows.unionByName(ghosts)
+    cuts = _splitters(docs)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("section", _section(cuts))
+    stats = keys.groupBy("section").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # a row for each section
+    if not stats:
+        return prepare(docs).select("*", F.lit(None).cast("string").alias("next_text"), *[F.col(c).alias(f"next_{c}") for c in extra])
+    sections = F.create_map(*[x for r in stats for x in (F.lit(r["section"]), F.struct(F.lit(float(r["lo"] or 0)).alias("lo"), F.lit(float((r["hi"] or 0) - (r["lo"] or 0))).alias("width"), F.lit(max(1, r["n"] // BUCKET_ROWS)).cast("double").alias("parts")))])
+
+    def ranged(df: DataFrame) -> DataFrame:
+        """df (doc_id, tie and more) with section and part, which ascend with (doc_id, tie)."""
+        df = df.withColumn("section", _section(cuts)).withColumn("s", sections[F.col("section")])
+        share = F.when(F.col("s.width") > 0, (F.col("doc_id") - F.col("s.lo")) / F.col("s.width")).otherwise(F.col("tie") / F.lit(2.0**64) + 0.5)
+        part = F.least(F.floor(share * F.col("s.parts")), F.col("s.parts") - 1)
+        return df.withColumn("part", F.greatest(part, F.lit(0)).cast("long")).drop("s")
+
+    rank = F.struct("doc_id", "tie")
+    heads = ranged(keys.drop("section")).groupBy("section", "part").agg(F.max(rank).alias("head"))
+    heads = materialize(heads.withColumn("follower", F.lag(F.struct("section", "part")).over(Window.partitionBy("section").orderBy(F.desc("part")))), "heads")
+    ends = heads.groupBy("section").agg(F.max_by("head", "part").alias("head"), F.min("part").alias("last")).orderBy(F.desc("section")).collect()  # a row for each section
+    turns = [(ends[i - 1]["section"], ends[i - 1]["last"], *h["head"]) for i, h in enumerate(ends)]  # the first row of a section follows the last range of the one before
+    within = heads.where("follower is not null").select("follower.section", "follower.part", F.col("head.doc_id").alias("id"), F.col("head.tie").alias("of"))
+    wanted = materialize(within.unionByName(spark.createDataFrame(turns, within.schema)), "ghosts")
+    rows = docs.withColumn("tie", F.xxhash64("text"))
+    met = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.id")) & (F.col("r.tie") == F.col("w.of")))
+    ghosts = met.select("r.*", "w.section", "w.part", F.lit(1).alias("ghost")).dropDuplicates(["section", "part"])
+    both = prepare(ranged(rows).withColumn("ghost", F.lit(0)).unionByName(ghosts))
+    order = Window.partitionBy("section", "part").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("tie"))
     for c in ("text", *extra):
-        out = out.withColumn(f"next_{c}", F.lead(c).over(order))
-    return out.where("_ghost = 0").drop("_tie", "_bucket", "_ghost")
+        both = both.withColumn(f"next_{c}", F.lead(c).over(order))
+    return both.where("ghost = 0").drop("tie", "section", "part", "ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,8 +131,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fewer than five words are one k-gram. Repeated rows come out as often as they came in; of a table of one row the
     next document is that row. An empty table gives no rows.
     """
-    texts = with_entries(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), "text", "entries")
-    near = with_next(texts, ["entries"])
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    near = with_next(texts, lambda df: with_entries(df, "text", "entries"), ["entries"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
