@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlinelake.llm.common import text_or_empty
+from outlinelake.llm.common import materialize, text_or_empty
 from outlinelake.llm.tokenizer import vocabulary, word_ids
 
 #: Lengths to a bucket of the two-level sums: no window holds more rows than this, or than there are buckets.
@@ -32,9 +32,13 @@ def _lengths(path: str):
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs) of every encoded length that occurs; null text has no tokens."""
+    """(n_tokens, n_docs) of every encoded length that occurs.
+
+    docs: text; other columns are ignored. Null or empty text has no tokens, which is a length too. Repeated rows count
+    each time. An empty table gives no rows. The histogram is written to the shared folder, so that texts are encoded once.
+    """
     found = docs.select(text_or_empty().alias("text")).mapInArrow(_lengths(path or vocabulary()), "n_tokens long, n_docs long")
-    return found.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return materialize(found.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
@@ -42,10 +46,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
     Columns: n_tokens (the limit), n_docs (of just this length), docs_at_least, tokens_at_least, docs_up_to, quantile
     (share of documents no longer than it), truncated_tokens (all tokens if every document is cut at the limit) and
-    total_tokens. Limits between two lengths follow by linear interpolation of truncated_tokens. An empty table gives
-    no rows.
+    total_tokens. Limits between two lengths follow by linear interpolation of truncated_tokens. histogram has each
+    length once; its other columns are ignored. An empty table gives no rows.
     """
-    rows = histogram.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    rows = histogram.select("n_tokens", "n_docs").withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     buckets = rows.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
