@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from outlinelake.llm.licenses import KNOWN, SPELLINGS
+from outlinelake.llm.licenses import DIGESTS, KNOWN, PUNCTUATION, SPELLINGS, STEPS
 
 #: Distinct shingles by document, pairs by counting what they share, and classes by following links from every document.
 NGRAM_JOIN = r"""
@@ -32,23 +32,27 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def licenses(known: dict[str, str] = KNOWN) -> str:
+def licenses(known: dict[str, str] = KNOWN, digests: dict[str, list[str]] = DIGESTS) -> str:
     """Canonical texts, their digests, and the ids of the known ones."""
+    plain = "text"
+    for pattern, new in STEPS:
+        plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
     one = "words"
     for other, word in SPELLINGS.items():
         one = rf"regexp_replace({one}, '\b{other}\b', '{word}', 'g')"
     rows = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in known.items())
+    more = ", ".join(f"('{d}', {_quoted(k)})" for k, some in digests.items() for d in some)
     return rf"""
 WITH texts AS (
   SELECT doc_id, NULL AS license_id, coalesce(text, '') AS text FROM documents
   UNION ALL SELECT NULL, * FROM (VALUES {rows})
 ), plain AS (
-  SELECT doc_id, license_id, trim(regexp_replace(lower(regexp_replace(text, '(?im)^[^\p{{L}}\p{{N}}\n(]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words
+  SELECT doc_id, license_id, trim(regexp_replace(lower({plain}), {_quoted(PUNCTUATION)}, ' ', 'g')) AS words
   FROM texts
 ), digests AS (
   SELECT doc_id, license_id, sha256({one}) AS digest FROM plain
 ), known AS (
-  SELECT digest, min(license_id) AS license_id FROM digests WHERE license_id IS NOT NULL GROUP BY digest
+  SELECT digest, min(license_id) AS license_id FROM (SELECT digest, license_id FROM digests WHERE license_id IS NOT NULL UNION ALL SELECT * FROM (VALUES {more})) GROUP BY digest
 )
 SELECT d.doc_id, d.digest, known.license_id FROM digests d LEFT JOIN known USING (digest) WHERE d.license_id IS NULL
 """
