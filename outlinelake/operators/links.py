@@ -26,8 +26,12 @@ def parse_links(files: DataFrame) -> DataFrame:
 
 
 def with_heading(links: DataFrame, headings: DataFrame) -> DataFrame:
-    """links with heading_id, the heading whose section holds each link (null before the first): an as-of join in one window."""
-    marks = headings.select("file", "position", "heading_id")
-    both = links.withColumn("heading_id", F.lit(None).cast("long")).withColumn("_link", F.lit(1)).unionByName(marks.withColumn("_link", F.lit(0)), allowMissingColumns=True)
-    upto = Window.partitionBy("file").orderBy("position", "_link").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("heading_id", F.last("heading_id", ignorenulls=True).over(upto)).where("_link = 1").drop("_link")
+    """links with heading_id, the heading whose section holds each link (null before the first): an as-of join in one window.
+
+    links: file, position and any other columns; of a column heading_id, the result takes the place.
+    """
+    kept = [F.col(f"`{c}`") for c in links.columns if c != "heading_id"]
+    rows = links.select("file", "position", F.struct(*kept).alias("row"))
+    both = rows.unionByName(headings.select("file", "position", "heading_id"), allowMissingColumns=True)
+    upto = Window.partitionBy("file").orderBy("position", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("heading_id", F.last("heading_id", ignorenulls=True).over(upto)).where("row is not null").select("row.*", "heading_id")

@@ -1,4 +1,4 @@
-"""Outline text rendered from the star schema: a file for each nation, its customers, and their orders.
+"""Outline text rendered from the star schema: a file for each nation, its customers, and their orders; and one for each brand of parts.
 
 A customer's heading has four lines (heading, drawer of one property) and an order's six (heading, planning, drawer, link).
 """
@@ -35,3 +35,12 @@ def render(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_nation = people.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))).alias("people"))
     body = F.coalesce(F.array_join(F.transform("people", lambda x: x["text"]), ""), F.lit(""))
     return nation.join(by_nation, "n_nationkey", "left").select(F.concat(F.lit("nation-"), "n_nationkey", F.lit(".org")).alias("file"), F.concat(F.lit("* "), "n_name", F.lit("  :nation:\n"), body).alias("value"))
+
+
+def render_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, value): every part under its brand, its size as a cookie, with a link of one of five types."""
+    part, key = _table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    link = F.element_at(F.array(F.concat(F.lit("https://parts.example/"), key), F.concat(F.lit("./part-"), key, F.lit(".org")), F.concat(F.lit("mailto:part"), key, F.lit("@example.org")), F.concat(F.lit("#part-"), key), F.concat(F.lit("part "), key)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    text = F.concat(F.lit("** Part "), key, F.lit(" ["), F.col("p_size").cast("string"), F.lit("%]\nsee [["), link, F.lit("]]\n"))
+    by_brand = part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))).alias("parts"))
+    return by_brand.select(F.concat(F.col("p_brand"), F.lit(".org")).alias("file"), F.concat(F.lit("* "), "p_brand", F.lit("\n"), F.array_join(F.transform("parts", lambda x: x["text"]), "")).alias("value"))

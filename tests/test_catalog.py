@@ -72,3 +72,54 @@ def test_watch(spark, dirs):
         query.awaitTermination(60)
         (dirs / "x/new.org").write_text("* new\n")
     assert sorted(r["title"] for r in catalog.load(spark, path)["headings"].collect()) == ["a", "a2", "b", "new"]
+
+
+def test_refresh_of_odd_names(spark, dirs):
+    where, path = [str(dirs / "x")], str(dirs / "db")
+    catalog.refresh(spark, where, path)
+    names = ["my notes.org", "x[1].org", "100%.org", "a+b.org", "é{ü}.org", "q?*.org", "c,d.org", "%41.org"]
+    for name in names:
+        (dirs / "x" / name).write_text(f"* {name}\n")
+    tables = catalog.refresh(spark, where, path)
+    assert {r["title"] for r in tables["headings"].collect()} == {"a", "a2", "b", *names}
+    same_as_rebuild(spark, where, tables)
+    assert {r["file"] for r in tables["files"].collect()} == {f"file:{dirs}/x/{n}" for n in ["a.org", "b.org", *names]} or {r["file"] for r in tables["files"].collect()} == {f"file://{dirs}/x/{n}" for n in ["a.org", "b.org", *names]}
+    os.remove(dirs / "x" / names[1])
+    (dirs / "x" / names[0]).write_text("* changed\n** more\n")
+    same_as_rebuild(spark, where, catalog.refresh(spark, where, path))
+
+
+@pytest.mark.parametrize("written", range(4))
+def test_a_refresh_that_breaks_off_is_repeated(spark, dirs, monkeypatch, written):
+    """Stopped after any number of tables, even if the files change again before the next refresh."""
+    where, path = [str(dirs / "x")], str(dirs / "db")
+    catalog.refresh(spark, where, path)
+    (dirs / "x/a.org").write_text("* A changed\n[[#w]]\n")
+    (dirs / "x/new.org").write_text("* new\n[[#n]]\n")
+    os.remove(dirs / "x/b.org")
+    real, done = catalog._replace_buckets, []
+
+    def replace(*args):
+        if len(done) == written:
+            raise OSError("lost")
+        done.append(real(*args))
+
+    monkeypatch.setattr(catalog, "_replace_buckets", replace)
+    if written < 3:
+        with pytest.raises(OSError, match="lost"):
+            catalog.refresh(spark, where, path)
+    monkeypatch.setattr(catalog, "_replace_buckets", real)
+    os.remove(dirs / "x/new.org")
+    (dirs / "x/b.org").write_text("* b again\n")
+    tables = catalog.refresh(spark, where, path)
+    same_as_rebuild(spark, where, tables)
+    assert not catalog.exists(spark, f"{path}/_pending")
+
+
+def test_sqlite_export(spark, dirs):
+    import sqlite3
+
+    catalog.export_sqlite(catalog.refresh(spark, [str(dirs / "x")], str(dirs / "db")), str(dirs / "out.db"))
+    db = sqlite3.connect(dirs / "out.db")
+    assert db.execute("SELECT title, level, tags FROM headings ORDER BY title").fetchall() == [("a", 1, "[]"), ("a2", 2, "[]"), ("b", 1, '["t"]')]
+    assert db.execute("SELECT link FROM links").fetchall() == [("#q",)] and db.execute("SELECT count(*) FROM files").fetchone() == (2,)

@@ -1,6 +1,8 @@
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from outlinelake.functions.lines import search, to_lines
 from outlinelake.operators.headings import parse_headings
@@ -112,22 +114,27 @@ def test_same_name_in_two_directories(spark):
     assert len({r["heading_id"] for r in rows}) == 2 and all(r["parent_id"] is None for r in rows)
 
 
-def test_too_deep_is_an_error(spark):
-    with pytest.raises(Exception, match="deeper than 3"):
-        parse_headings(files(spark, a="**** x"), max_level=3).collect()
-
-
-def test_parents_match_a_stack(spark):
-    levels = [3, 1, 2, 5, 4, 2, 2, 1, 3, 2, 6, 1]
-    rows = headings(spark, "\n".join("*" * n + f" h{i}" for i, n in enumerate(levels)))
+@pytest.mark.parametrize("shallow", [1, 2, 4, 12])
+def test_parents_match_a_stack(spark, shallow):
+    rng = random.Random(shallow)
+    levels = [3, 1, 2, 5, 4, 2, 2, 1, 3, 2, 6, 1, *(rng.choice((1, 2, 3, 5, 9, 14, 20, 40)) for _ in range(150)), *range(30, 60), 2, *range(50, 20, -1)]
+    df = files(spark, a="\n".join("*" * n + f" h{i}" for i, n in enumerate(levels)))
+    rows = parse_headings(df, shallow=shallow).orderBy("line_number").collect()
     line, stack = {r["heading_id"]: r["line_number"] for r in rows}, []
     for i, (n, r) in enumerate(zip(levels, rows, strict=True)):
         while stack and stack[-1][0] >= n:
             stack.pop()
         assert [line[a] for a in r["ancestor_ids"]] == [s[1] for s in stack]
+        assert line.get(r["parent_id"]) == (stack[-1][1] if stack else None)
         stack.append((n, i + 1))
 
 
+def test_with_heading_keeps_columns_of_any_name(spark):
+    links = parse_links(files(spark, a=SNIPPET)).withColumns({"_link": F.lit("x"), "heading_id": F.lit("y"), "row": F.lit("z")})
+    rows = with_heading(links, parse_headings(files(spark, a=SNIPPET))).collect()
+    assert {(r["_link"], r["row"]) for r in rows} == {("x", "z")} and all(isinstance(r["heading_id"], int) for r in rows)
+
+
 def test_search(spark):
     rows = search(files(spark, a="x\nfoo 1\n", b="foo 2"), r"^foo \d").orderBy("file").collect()
     assert [(r["file"], r["line_number"]) for r in rows] == [("a.org", 2), ("b.org", 1)]
