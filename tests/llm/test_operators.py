@@ -17,7 +17,7 @@ from outlinelake.llm.mixing import capped_targets, min_cost_flow, mix_by_source
 from outlinelake.llm.ngram_join import jaccard_classes
 from outlinelake.llm.quality import classify
 from outlinelake.llm.secrets import scan_secrets
-from outlinelake.llm.suffix_dedup import WINDOW, repeated_spans
+from outlinelake.llm.suffix_dedup import HOT, WINDOW, _repeated, repeated_spans
 from outlinelake.llm.token_counts import context_limits, length_histogram
 from outlinelake.llm.token_output import token_output
 from outlinelake.llm.tokenizer import vocabulary
@@ -145,11 +145,22 @@ def test_suffix_dedup(rows, docs, empty):
                 cut[s : s + WINDOW] = 1
         kept = bytes(b for b, c in zip(t, cut, strict=False) if not c)
         want.append((r[0], len(t), int(cut.sum()), int((np.diff(cut) == -1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = repeated_spans(docs).drop("spans").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[2] for w in want)
+    for hot in (HOT, 1500, 0):  # no gram, some, and all as hot ones
+        got = repeated_spans(docs, hot).drop("spans").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[2] for w in want)
     assert repeated_spans(empty).count() == 0
 
 
+def test_suffixes_of_one_fingerprint_are_told_apart_by_their_bytes():
+    text = random.Random(2).randbytes(900)
+    data = np.frombuffer(text + b"x" * 450 + text[:700], dtype=np.uint8)
+    at = np.arange(len(data) - WINDOW + 1)
+    windows = [data[i : i + WINDOW].tobytes() for i in at]
+    want = [windows.count(w) > 1 for w in windows]
+    for lead, finger in ((np.zeros(len(at)), np.zeros(len(at))), (np.array([hash(w) for w in windows]), np.array([hash(w) for w in windows]))):
+        assert _repeated(data, at, lead, finger).tolist() == want
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item = " ".join(words(rng, 40))
