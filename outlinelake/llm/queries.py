@@ -13,7 +13,7 @@ from outlinelake.llm.fingerprints import fingerprints
 from outlinelake.llm.licenses import known_digests, scan_licenses
 from outlinelake.llm.mixing import mix_by_source
 from outlinelake.llm.ngram_join import jaccard_classes
-from outlinelake.llm.quality import classify
+from outlinelake.llm.quality import judge
 from outlinelake.llm.secrets import scan_secrets
 from outlinelake.llm.suffix_dedup import repeated_spans
 from outlinelake.llm.token_counts import context_limits, length_histogram
@@ -29,7 +29,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "bits", "threshold", "keep")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "bits", "threshold", "keep")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,25 +78,18 @@ def alike(a: list, b: list) -> float:
 
 
 class KneserNey:
-    """Modified Kneser-Ney over character 4-grams, with dictionaries."""
-
-    def __init__(self, texts: list[str | None], trusted: list[str | None], symbols: int):
-        seen = Counter(c for t in texts for c in t or "" if c != "\0")
-        self.symbol = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: symbols - 2])}
-        self.symbols = symbols
-        four: Counter = Counter(g for t in trusted for g in self.grams(t))
-        three: Counter = Counter(g[1:] for g in four)
-        two: Counter = Counter(g[1:] for g in three)
-        one: Counter = Counter(g[1:] for g in two)
+    """Modified Kneser-Ney over character 4-grams, with dictionaries; below the unigrams, an equal share for each code point."""
+
+    def __init__(self, trusted: list[str | None]):
+        counts: Counter = Counter(g for t in trusted for g in self.grams(t))
         self.orders = []
-        for counts in (four, three, two):
+        for _ in range(4):
             of_context: dict = defaultdict(list)
             for gram, n in counts.items():
                 of_context[gram[:-1]].append(n)
             tally = Counter(counts.values())
             self.orders.append((counts, of_context, self.discounts(*(tally[i] for i in (1, 2, 3, 4)))))
-        total = sum(one.values()) + 0.5 * symbols
-        self.unigram = [(one[(s,)] + 0.5) / total for s in range(symbols)]
+            counts = Counter(g[1:] for g in counts)
 
     @staticmethod
     def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -106,13 +99,14 @@ class KneserNey:
         raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.5]
         return [0] + [min(max(d, 0.05), top) for d, top in zip(raw, (0.95, 1.95, 2.95), strict=True)]
 
-    def grams(self, text: str | None) -> list[tuple[int, ...]]:
-        line = [0, 0, 0] + [self.symbol.get(c, 1) for c in text or ""]
+    @staticmethod
+    def grams(text: str | None) -> list[tuple[int, ...]]:
+        line = [0, 0, 0] + [ord(c) for c in text or ""]
         return [tuple(line[i : i + 4]) for i in range(len(line) - 3)]
 
     def probability(self, gram: tuple[int, ...], order: int = 0) -> float:
-        if order == 3:
-            return self.unigram[gram[-1]]
+        if order == 4:
+            return 1 / 0x110000
         counts, of_context, discount = self.orders[order]
         lower = self.probability(gram[1:], order + 1)
         rest = of_context.get(gram[:-1])
@@ -130,16 +124,19 @@ class KneserNey:
 def judged(rows: list[tuple], labels: list[tuple], quality) -> list[tuple[float | None, float | None, float | None]]:
     """(bits, adjusted, threshold) of each row (doc_id, text, lang, ...)."""
     good = {d for d, q, t in labels if q == 1 and not t and d is not None}
-    model = KneserNey([r[1] for r in rows], [r[1] for r in rows if r[0] in good], quality.SYMBOLS)
-    bits = [model.bits(r[1]) for r in rows]
+    model = KneserNey([r[1] for r in rows if r[0] in good])
+    known: dict = {}
+    bits = [known[r[1]] if r[1] in known else known.setdefault(r[1], model.bits(r[1])) for r in rows]
     adjusted = [b - quality.SPREAD / math.sqrt(len(r[1])) if b is not None else None for b, r in zip(bits, rows, strict=True)]
+    fold = lambda t: chained(None if t is None else t.encode()) & 1
+    halves = [KneserNey([r[1] for r in rows if r[0] in good and fold(r[1]) == k]) for k in (0, 1)]
     by_lang = defaultdict(list)
-    for r, a in zip(rows, adjusted, strict=True):
-        if r[0] in good and a is not None:
-            by_lang[r[2]].append(a)
+    for r in rows:
+        if r[0] in good and r[1]:
+            by_lang[r[2]].append(halves[1 - fold(r[1])].bits(r[1]) - quality.SPREAD / math.sqrt(len(r[1])))
     every = [a for some in by_lang.values() for a in some]
-    limit = lambda some: float(np.quantile(some, quality.QUANTILE)) + quality.MARGIN if some else None
-    own = {k: limit(v) for k, v in by_lang.items() if k is not None and len(v) >= quality.LEAST_TRUSTED}
+    limit = lambda some: float(np.quantile(some, quality.QUANTILE)) + 1 / math.sqrt(len(some)) if some else None
+    own = {k: limit(v) for k, v in by_lang.items() if k is not None}
     return [(b, a, own.get(r[2], limit(every))) for b, a, r in zip(bits, adjusted, rows, strict=True)]
 
 
