@@ -18,12 +18,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's trusted documents admit."""
+    """Documents whose perplexity their language's trusted documents admit.
+
+    Null and empty texts are rejected, null languages and ids judged all the same; repeated rows stay or go together.
+    Without labels all other documents stay; an empty table stays empty.
+    """
     return classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each class of near copies; documents without words stay. Of repeated rows one stays, and rows without a doc_id stay."""
+    """The least doc_id of each class of near copies.
+
+    Documents without words link with nothing and stay. Of repeated rows one stays, rows of one doc_id with different
+    texts all stay if any of them is the least, and rows without a doc_id stay. An empty table stays empty.
+    """
     classes = jaccard_classes(docs)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
@@ -31,19 +39,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows stay or go together; an empty benchmark removes nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them; a part of a copy counts from half on."""
+    """Documents as often as the mixture takes them; a part of a copy counts from half on.
+
+    A null source is a source; texts without words are not taken. Repeated rows are taken alike; an empty table stays empty.
+    """
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
     rows = mix_by_source(docs).where("size > 0").withColumn("_copies", copies).where("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place, length and checksum of each document in the token files."""
+    """Place, length and checksum of each document in the token files; null and empty texts are just the end id, repeated rows each have a place."""
     return token_output(docs, scratch_path(spark, "corpus")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -60,6 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, for the documents of sf_dir; extra columns of the table are left out at the start."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
