@@ -19,6 +19,8 @@ from outlinelake.llm.common import SPACES, materialize
 
 #: Patterns that the flow may have; with more of them, sources should be grouped first.
 MOST_PATTERNS = 100_000
+#: Tables of a row for each pattern or source are broadcast up to this many rows; beyond, Catalyst joins them as it likes.
+SMALL = 10_000
 #: Rows of one pattern to a hash range, about.
 RANGE_ROWS = 10_000
 SEED = 17
@@ -97,6 +99,10 @@ def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[in
             room[e ^ 1] += width
 
 
+def _side(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
 def _row_hash(seed: int) -> Column:
     """Seeded place of a row among its pattern's; equal rows share it."""
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
@@ -106,7 +112,7 @@ def mixing_plan(docs: DataFrame, sources: Column, quotas: dict, most: int = 2, s
     """How much of each pattern to take: pattern, copies (whole), cut (hash below which one more is taken), part and of.
 
     docs: doc_id and text. sources: an array column, the sources of a document, nulls allowed. quotas: words for each
-    source. Tables of a row for each pattern come from the driver, so Catalyst knows their size and broadcasts only small ones. Documents whose hash equals the cut share `part` words of their `of`. One row for each pattern.
+    source. Documents whose hash equals the cut share `part` words of their `of`. One row for each pattern.
     """
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(sources))
@@ -129,9 +135,9 @@ def mixing_plan(docs: DataFrame, sources: Column, quotas: dict, most: int = 2, s
     binned = thin.withColumn("range", F.pmod(F.shiftrightunsigned("h", 1), F.lit(ranges)).cast("int"))
     in_order = Window.partitionBy("pattern").orderBy("range")
     totals = binned.groupBy("pattern", "range").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(in_order))
-    cut_range = totals.alias("t").join(wanted.alias("w"), same("t", "w")).where("rest > 0 and upto > rest and upto - size <= rest").select("t.pattern", "range", (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest"))
+    cut_range = totals.alias("t").join(_side(wanted, len(plan)).alias("w"), same("t", "w")).where("rest > 0 and upto > rest and upto - size <= rest").select("t.pattern", "range", (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest"))
     cut_range = spark.createDataFrame(cut_range.collect(), cut_range.schema)  # a row for each pattern
-    inside = binned.alias("b").join(cut_range.alias("c"), same("b", "c") & (F.col("b.range") == F.col("c.range"))).groupBy("b.pattern", "b.range", "c.rest", "h").agg(F.sum("size").alias("of"))
+    inside = binned.alias("b").join(_side(cut_range, len(plan)).alias("c"), same("b", "c") & (F.col("b.range") == F.col("c.range"))).groupBy("b.pattern", "b.range", "c.rest", "h").agg(F.sum("size").alias("of"))
     by_hash = Window.partitionBy("pattern").orderBy("h")
     cut = inside.withColumn("upto", F.sum("of").over(by_hash)).where("upto > rest and upto - of <= rest").select("pattern", "range", "h", "of", (F.col("rest") - (F.col("upto") - F.col("of"))).alias("part"))
     rows = wanted.alias("w").join(cut.alias("c"), same("w", "c"), "left").select("w.pattern", "copies", F.col("range").alias("cut_range"), F.col("h").alias("cut"), "part", "of", F.lit(ranges).alias("ranges"))
@@ -141,7 +147,7 @@ def mixing_plan(docs: DataFrame, sources: Column, quotas: dict, most: int = 2, s
 def mixed(docs: DataFrame, sources: Column, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with size and taken, the words that the plan takes of each row, repeats counted. docs may have columns of any names but these two."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.array_sort(F.array_distinct(sources)).alias("pattern"), word_count(F.col("text")).alias("size"), _row_hash(seed).alias("h")).alias("r")
-    p, h = plan.alias("p"), F.col("r.h")
+    p, h = _side(plan, plan.count()).alias("p"), F.col("r.h")
     place = F.pmod(F.shiftrightunsigned(h, 1), F.col("p.ranges")).cast("int")
     before = (place < F.col("p.cut_range")) | ((place == F.col("p.cut_range")) & (h < F.col("p.cut")))
     more = F.when(F.col("p.cut").isNull(), F.lit(0)).when(before, F.col("r.size")).when(h == F.col("p.cut"), F.floor(F.col("r.size") * F.col("p.part") / F.col("p.of"))).otherwise(F.lit(0))
@@ -170,5 +176,5 @@ def mix_by_source(docs: DataFrame) -> DataFrame:
     plan = mixing_plan(docs, F.array("source"), {s: round(t) for s, _, t in targets})
     by_source = spark.createDataFrame([(s, n, float(t)) for s, n, t in targets], "source string, source_size long, target double")
     out = mixed(docs, F.array("source"), plan)
-    joined = out.alias("o").join(by_source.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")), "left")
+    joined = out.alias("o").join(_side(by_source, len(targets)).alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")), "left")
     return joined.select("o.*", "source_size", "target")
