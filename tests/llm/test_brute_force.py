@@ -14,7 +14,7 @@ from outlinelake.llm.tokenizer import vocabulary
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names of the operators' own columns, as extra columns of their input.
-CLASHES = ["size", "taken", "target", "source_size", "bits", "adjusted_bits", "threshold", "keep", "start", "end", "kind", "spans", "bin", "mark", "hash", "fingerprint", "entries", "n_tokens", "key", "component_id", "n", "pattern"]
+CLASHES = ["size", "taken", "target", "source_size", "bits", "adjusted_bits", "threshold", "keep", "start", "end", "kind", "spans", "bin", "mark", "hash", "fingerprint", "entries", "n_tokens", "key", "component_id", "n", "pattern", "_h", "_pattern", "h", "r", "p", "d", "digest", "row", "tie", "section", "part", "ghost", "any", "found", "m", "s", "own", "of_id", "of_text", "classes", "trusted"]
 
 
 def by_text(rows):
