@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from outlinelake.llm.common import text_or_empty
 
+#: Known digests that are broadcast; more are joined by a shuffle of digests.
+SMALL = 10_000
+
 # Pairs of spellings that licence matching treats as the same word (left becomes right).
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber",
@@ -158,8 +161,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest of the whole text's canonical form, and license_id (null: not a known licence's text).
 
     docs: doc_id and text; other columns are ignored. Null text counts as empty, which is no licence. Repeated rows come
-    out as often as they came in; an empty table gives no rows. `known` has (digest, license_id), a digest once;
-    Catalyst broadcasts it only below its own size threshold.
+    out as often as they came in; an empty table gives no rows. `known` has (digest, license_id), a digest once; it is
+    broadcast if it has at most SMALL rows.
     """
+    if known.limit(SMALL + 1).count() <= SMALL:
+        known = F.broadcast(known)
     texts = docs.select("doc_id", F.sha2(canonical(text_or_empty()), 256).alias("digest"))
     return texts.join(known, "digest", "left").select("doc_id", "digest", "license_id")
