@@ -30,6 +30,8 @@ LEAST_ITEM = 40
 BLOCK = 4_000_000
 #: Code points worked on at a time.
 CHUNK = 1 << 20
+#: Shared q-grams that are spread out at a time, about.
+HITS = 4_000_000
 _FILTER_BITS = 22
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -119,16 +121,26 @@ class Probes:
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[(self.grams >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text place, probe and place in the probe of every shared q-gram."""
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text place, probe and place in the probe of every shared q-gram, in windows of the text.
+
+        Windows overlap by more than a band's q-grams of one probe reach, so that each such group is whole in one of them.
+        """
         maybe = np.flatnonzero(self.filter[(hashes >> _U(64 - _FILTER_BITS)).astype(np.int64)])
         at = np.searchsorted(self.grams, hashes[maybe])
         at[at == len(self.grams)] = 0
         same = self.grams[at] == hashes[maybe] if len(self.grams) else np.zeros(0, bool)
         maybe, at = maybe[same], at[same]
-        n = self.count[at]
-        spread = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(maybe, n), self.probe[spread], self.place[spread]
+        upto = np.concatenate(([0], np.cumsum(self.count[at])))
+        overlap = PROBE + 2 * (int(PROBE * ERRORS) + 1)
+        lo = 0
+        while lo < len(maybe):
+            hi = int(np.searchsorted(upto, upto[lo] + HITS, side="right")) - 1
+            hi = max(hi, int(np.searchsorted(maybe, maybe[lo] + 2 * overlap)))
+            n = self.count[at[lo:hi]]
+            spread = np.repeat(self.first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(maybe[lo:hi], n), self.probe[spread], self.place[spread]
+            lo = len(maybe) if hi >= len(maybe) else int(np.searchsorted(maybe, maybe[hi] - overlap))
 
 
 def _aligned(chars: np.ndarray, first: np.ndarray, last: np.ndarray, probes: Probes, probe: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +169,12 @@ def _aligned(chars: np.ndarray, first: np.ndarray, last: np.ndarray, probes: Pro
 
 
 def _regions(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, probes: Probes) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, probe, start, end, edits), places in chars, of each probe found in each text of a buffer."""
-    place, probe, inner = probes.hits(_gram_hashes(chars))
+    """(text, probe, start, end, edits), places in chars, of each probe found in each text of a buffer; some more than once."""
+    for place, probe, inner in probes.hits(_gram_hashes(chars)):
+        yield from _banded(chars, owners, bounds, probes, place, probe, inner)
+
+
+def _banded(chars: np.ndarray, owners: np.ndarray, bounds: np.ndarray, probes: Probes, place: np.ndarray, probe: np.ndarray, inner: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     text = owners[place]
     inside = place + Q <= bounds[text + 1]  # a q-gram across two texts is none
     place, probe, inner, text = place[inside], probe[inside], inner[inside], text[inside]

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from outlinelake.llm import common, fingerprints, mixing
+from outlinelake.llm import common, decontamination, fingerprints, mixing
 from outlinelake.llm.decontamination import contaminated_spans
 from outlinelake.llm.licenses import KNOWN, known_digests, scan_licenses
 from outlinelake.llm.ngram_join import jaccard_classes
@@ -125,3 +125,18 @@ def test_a_wrapped_licence_keeps_its_sentences(spark):
     wrapped = KNOWN["BSD-2-Clause"].replace("above copyright", "above\ncopyright")
     docs = spark.createDataFrame([(1, wrapped)], "doc_id long, text string")
     assert scan_licenses(docs, known_digests(spark)).first()["license_id"] == "BSD-2-Clause"
+
+
+def test_benchmark_places_do_not_depend_on_the_windows(monkeypatch):
+    """Text that shares most of its q-grams with many probes, spread out in one piece and in the smallest windows."""
+    rng = random.Random(5)
+    phrase = "which of the following statements about the given passage is best supported by what the author says "
+    items = [(i, phrase + " ".join(rng.choice(("red", "green", "blue", "old", "new")) for _ in range(12 + i % 9))) for i in range(60)]
+    texts = [" ".join([phrase, items[i][1], "0 " * 80, items[-1 - i][1][:130]]) for i in range(12)] + [phrase * 30, None]
+    probes = decontamination.Probes([*items, (99, "0 " * 70)])
+    found = list(decontamination._found(pa.array(texts), probes))
+    assert {(i, i) for i in range(12)} <= {row[:2] for row in found}
+    pieces = len(list(probes.hits(decontamination._gram_hashes(decontamination._fold(" ".join(filter(None, texts)))[0]))))
+    monkeypatch.setattr(decontamination, "HITS", 1)
+    assert list(decontamination._found(pa.array(texts), probes)) == found
+    assert pieces == 1 < len(list(probes.hits(decontamination._gram_hashes(decontamination._fold(texts[-2])[0]))))
