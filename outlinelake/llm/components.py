@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Least node of every linked node's component.
 
     links: (a, b) in any direction, repeats and loops allowed. Returns (node, component) for nodes with a link to another; an empty table gives none.
@@ -31,7 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:  # every round but the last brings some node nearer to its least one
         step = materialize(_small_star(_large_star(edges)), "edges")
         discard(spark, edges)
         edges = step
@@ -39,4 +39,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
