@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from outlinelake.functions.lines import search, to_lines
 from outlinelake.operators.headings import parse_headings
-from outlinelake.operators.links import parse_links, with_heading
+from outlinelake.operators.links import parse_links, standing, with_heading
 from outlinelake.plans import catalog
 from outlinelake.plans import queries as Q
 from outlinelake.sources.scan import scan
@@ -142,10 +142,7 @@ def link_fields(spark, sf_dir):
 def link_positions(spark, sf_dir):
     """What stands at each link's position in its file, which must be the link."""
     tables = _database(spark, sf_dir)
-    lengths = tables["links"].groupBy("file").agg(F.collect_list(F.struct("position", "full_link")).alias("found"))
-    both = lengths.join(tables["text"], "file").select("file", "value", F.explode("found").alias("x"))
-    right = F.substring(F.col("value"), F.col("x.position"), F.char_length("x.full_link")) == F.col("x.full_link")
-    return both.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(right, 1)).alias("n_right"))
+    return standing(tables["links"], tables["text"]).groupBy("file").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("n_right"))
 
 
 def links_by_type(spark, sf_dir):
