@@ -12,7 +12,8 @@ trained on, that quantile is taken of what each half of the trusted documents co
 
 Toxic text is found by words, as a document's mean hides it: two more models, of the documents labelled toxic and of
 those labelled not toxic, are compared over each word. Documents whose most toxic words together speak for the toxic
-model by more bits than the trusted documents' quantile are rejected, however good the rest of their text is.
+model by more bits than the trusted documents' quantile are rejected, however good the rest of their text is. Words with
+grams that the broadcast rows can't settle are left open, and their grams are joined with the whole two models.
 """
 
 from __future__ import annotations
@@ -43,8 +44,7 @@ TOXIC_QUANTILE = 0.998
 TOXIC_MARGIN = 2.0
 #: With fewer documents labelled toxic there is no model of toxic text, and none is rejected as such.
 LEAST_TOXIC = 20
-#: Rows of each model that are broadcast, 16 bytes each. The others of the scoring model are joined; those of the two
-#: models that are compared over words count as not seen.
+#: Rows of each model that are broadcast, 16 bytes each. The others are joined.
 FREQUENT = 1 << 20
 #: Code points worked on at a time.
 CHUNK = 1 << 21
@@ -60,11 +60,12 @@ TRUSTED, TOXIC, HARMLESS, HALF, OTHER_HALF = MODELS = range(5)
 #: Documents that are neither trusted nor toxic. Counts are taken of four classes, of which the models are sums.
 REST = 5
 CLASSES = {TOXIC: (TOXIC,), HALF: (HALF, TRUSTED, HARMLESS), OTHER_HALF: (OTHER_HALF, TRUSTED, HARMLESS), REST: (HARMLESS,)}
-#: Those that score, so that rows beyond the broadcast ones are joined.
+#: Those that score whole texts; the other two are compared over words.
 SCORING = (TRUSTED, HALF, OTHER_HALF)
+WORDWISE = (TOXIC, HARMLESS)
 _GRAM = ("a", "b", "c", "d")
 _COUNTS = "model int, a int, b int, c int, d int, n long"
-_SCORED = "doc_id long, lang string, digest long, row long, n_chars long, own double, other double, toxic_bits double, rest array<struct<model:int,a:int,b:int,c:int,d:int,n:int>>"
+_SCORED = "doc_id long, lang string, digest long, row long, n_chars long, own double, other double, toxic_bits double, rest array<struct<model:int,a:int,b:int,c:int,d:int,n:int>>, most array<double>, open array<struct<word:int,bits:double>>, spelled array<struct<word:int,a:int,b:int,c:int,d:int,n:int>>"
 _U = np.uint64
 
 
@@ -230,9 +231,9 @@ def model_rows(counts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The models' rows: all of them as a table, and the most frequent ones of each sorted by key, with whether they are all."""
+    """The models' rows: all of them as a table, and the most frequent ones of each sorted by key, with whether these are all of the model's."""
 
-    def __init__(self, rows: DataFrame, frequent: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], whole: bool, tells_toxic: bool):
+    def __init__(self, rows: DataFrame, frequent: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], whole: dict[int, bool], tells_toxic: bool):
         self.rows, self.frequent, self.whole, self.tells_toxic, self._shared = rows, frequent, whole, tells_toxic, None
 
     def shared(self, spark):
@@ -260,7 +261,7 @@ def train(labelled: DataFrame, frequent: int = FREQUENT) -> Model:
         tables[model] = (keys[order], *(held.column(c).to_numpy()[order].astype(np.float32) for c in ("log2p", "backoff")))
     begins = counts.where("a = 0 and b = 0 and c = 0").groupBy("model").agg(F.sum("n").alias("n"))  # once a text
     texts = {r["model"]: r["n"] for r in begins.collect()}
-    return Model(rows, tables, all(sizes.get(m, 0) <= frequent for m in SCORING), texts.get(TOXIC, 0) >= LEAST_TOXIC and HARMLESS in texts)
+    return Model(rows, tables, {m: sizes.get(m, 0) <= frequent for m in MODELS}, texts.get(TOXIC, 0) >= LEAST_TOXIC and HARMLESS in texts)
 
 
 def _roles(grams: np.ndarray) -> list[tuple[str, tuple[np.ndarray, ...]]]:
@@ -296,36 +297,53 @@ def _looked_up(model: int, table: tuple[np.ndarray, np.ndarray, np.ndarray], gra
     return out, seen
 
 
-def _word_bits(points: np.ndarray, bits: np.ndarray, starts: np.ndarray, n_texts: int) -> list[float | None]:
-    """Of each text, the sum over its TOXIC_WORDS words with the most bits; null without text. A separator belongs to the word before it."""
-    if not len(points):
-        return [None] * n_texts
+def _words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and which text it is of. A separator belongs to the word before it."""
     space = (points == 0x20) | ((points >= 9) & (points <= 13))
     begins = np.zeros(len(points), dtype=bool)
     begins[1:] = space[:-1]
     begins[starts[starts < len(points)]] = True
     first = np.flatnonzero(begins)
-    sums = np.add.reduceat(bits, first)
-    owner = np.searchsorted(starts, first, side="right") - 1
+    return first, np.searchsorted(starts, first, side="right") - 1
+
+
+def _most(sums: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TOXIC_WORDS largest sums of each text, and its number, in the order of the texts."""
     order = np.lexsort((-sums, owner))
     sums, owner = sums[order], owner[order]
     most = np.arange(len(owner)) - np.searchsorted(owner, owner) < TOXIC_WORDS
-    total = np.bincount(owner[most], weights=sums[most], minlength=n_texts)
-    some = np.bincount(owner, minlength=n_texts) > 0
-    return [round(x, 6) if y else None for x, y in zip(total.tolist(), some.tolist(), strict=True)]
+    return sums[most], owner[most]
 
 
-def _toxic_bits(grams: np.ndarray, tables: dict) -> np.ndarray:
-    """By how many bits each gram speaks for the toxic model; none if neither model has seen its character.
+def _toxic_bits(grams: np.ndarray, tables: dict, whole: dict[int, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """By how many bits each gram speaks for the toxic model, none if neither model has seen its character; and whether
+    that takes rows that are not broadcast, the bits being 0 then."""
+    bits, known, later = np.zeros(grams.shape[1]), np.zeros(grams.shape[1], dtype=bool), np.zeros(grams.shape[1], dtype=bool)
+    for model, sign in ((TOXIC, 1), (HARMLESS, -1)):
+        log2p, seen = _looked_up(model, tables[model], grams)
+        bits += sign * log2p
+        known |= seen | np.isin(_keys(model, grams[-1]), tables[model][0])
+        if not whole[model]:
+            later |= ~seen
+    return np.where(known & ~later, bits, 0), later
 
-    A space stands in place of the boundary, so that a text's first word is judged as any other.
-    """
-    inner = np.where(grams == 0, 0x20, grams)
-    bits = _looked_up(TOXIC, tables[TOXIC], inner)[0] - _looked_up(HARMLESS, tables[HARMLESS], inner)[0]
-    known = np.zeros(grams.shape[1], dtype=bool)
-    for model in (TOXIC, HARMLESS):
-        known |= np.isin(_keys(model, inner[-1]), tables[model][0])
-    return np.where(known, bits, 0)
+
+def _lists(n: int, owner: np.ndarray, values: pa.Array) -> pa.Array:
+    """Values, in the order of the rows that own them, as lists of n rows."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))), pa.int32()), values)
+
+
+def _structs(names: tuple[str, ...], columns: list[np.ndarray]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64() if x == "bits" else pa.int32()) for x, c in zip(names, columns, strict=True)], names=list(names))
+
+
+def _joined(parts: list[list[np.ndarray]], width: int) -> list[np.ndarray]:
+    """Columns of rows from several chunks, the first of which is the row that owns them, in that order."""
+    if not parts:
+        return [np.empty(0, dtype=np.int64) for _ in range(width)]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
 
 
 def _scores(shared):
@@ -334,34 +352,56 @@ def _scores(shared):
         tables, whole, tells_toxic = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in _slices(batches):
-            own, other, toxic, rest = [], [], [], []
+            count = batch.num_rows
+            own, other, toxic = [], [], np.full(count, np.nan)
+            sizes, rest, most, opened, spelled = [], [], [], [], []  # of the last four: the columns, first the place in the batch
             first_half = (batch.column("digest").to_numpy() & 1) == 0
             for at, chunk in _chunks(batch.column("text").to_pylist()):
+                sizes += chunk.sizes.tolist()
                 # which model each code point meets: that of all trusted text, and that of the half its text isn't in
                 half = np.where(first_half[at : at + len(chunk.sizes)], OTHER_HALF, HALF)[chunk.owner]
-                found = {m: _looked_up(m, tables[m], chunk.grams) for m in SCORING}
-                asked: list[list[dict]] = [[] for _ in chunk.sizes]
                 for sums, models in ((own, (TRUSTED,)), (other, (HALF, OTHER_HALF))):
                     each = np.zeros(len(chunk.points))
                     for m in models:
                         meets = slice(None) if m == TRUSTED else half == m
-                        log2p, seen = found[m]
-                        later = np.zeros(len(seen), dtype=bool) if whole else ~seen
+                        log2p, seen = _looked_up(m, tables[m], chunk.grams)
+                        later = np.zeros(len(seen), dtype=bool) if whole[m] else ~seen
                         each[meets] = np.where(later, 0, log2p)[chunk.which[meets]]
                         if later.any():
                             places = np.flatnonzero(later[chunk.which] & (m == TRUSTED or half == m))
                             pairs, n = np.unique(chunk.owner[places] * len(seen) + chunk.which[places], return_counts=True)
-                            for text, gram, times in zip((pairs // len(seen)).tolist(), (pairs % len(seen)).tolist(), n.tolist(), strict=True):
-                                asked[text].append(dict(zip(("model", *_GRAM, "n"), (m, *chunk.grams[:, gram].tolist(), times), strict=True)))
+                            rest.append([at + pairs // len(seen), np.full(len(pairs), m), *chunk.grams[:, pairs % len(seen)], n])
                     logs = np.concatenate(([0.0], np.cumsum(each)))
                     sums += (logs[chunk.starts] - logs[chunk.ends]).tolist()
-                by_word = _toxic_bits(chunk.grams, tables)[chunk.which] if tells_toxic else None
-                toxic += [None] * len(chunk.sizes) if by_word is None else _word_bits(chunk.points, by_word, chunk.starts, len(chunk.sizes))
-                rest += asked
-            count = batch.num_rows
-            sizes = [len(_code_points(t)) for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("model", *_GRAM, "n")]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("digest"), pa.array(range(row, row + count), pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.float64()), pa.array(other, pa.float64()), pa.array(toxic, pa.float64()), pa.array(rest, kind)], names=[x.split()[0] for x in _SCORED.split(", ")])
+                if not tells_toxic or not len(chunk.points):
+                    continue
+                # a space stands in place of the boundary, so that a text's first word is judged as any other
+                inner = np.where(chunk.grams == 0, 0x20, chunk.grams)
+                by_gram, later = _toxic_bits(inner, tables, whole)
+                first, owner = _words(chunk.points, chunk.starts)
+                sums = np.add.reduceat(by_gram[chunk.which], first)
+                is_open = np.logical_or.reduceat(later[chunk.which], first)
+                largest, of = _most(sums[~is_open], owner[~is_open])
+                toxic[at + owner] = 0
+                toxic[at : at + len(chunk.sizes)] += np.bincount(of, weights=largest, minlength=len(chunk.sizes))
+                if is_open.any():
+                    toxic[at + owner[is_open]] = np.nan
+                    most.append([at + of, largest])
+                    opened.append([at + owner[is_open], np.flatnonzero(is_open), sums[is_open]])
+                    places = np.flatnonzero(later[chunk.which])
+                    pairs, n = np.unique((np.searchsorted(first, places, side="right") - 1) * len(later) + chunk.which[places], return_counts=True)
+                    word = pairs // len(later)
+                    spelled.append([at + owner[word], word, *inner[:, pairs % len(later)], n])
+            (of_rest, *rest), (of_most, most), (of_open, *opened), (of_spelled, *spelled) = (_joined(x, n) for x, n in ((rest, 7), (most, 2), (opened, 3), (spelled, 7)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("lang"), batch.column("digest"), pa.array(range(row, row + count), pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array(own, pa.float64()), pa.array(other, pa.float64()), pa.array(np.round(toxic, 6), pa.float64(), from_pandas=True),
+                    _lists(count, of_rest, _structs(("model", *_GRAM, "n"), rest)), _lists(count, of_most, pa.array(most, pa.float64())),
+                    _lists(count, of_open, _structs(("word", "bits"), opened)), _lists(count, of_spelled, _structs(("word", *_GRAM, "n"), spelled)),
+                ],
+                names=[x.split()[0] for x in _SCORED.split(", ")],
+            )
             row += count
 
     return run
@@ -370,7 +410,7 @@ def _scores(shared):
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each gram of each model with the keys that it is looked up by."""
     for batch in batches:
-        for model in SCORING:
+        for model in MODELS:
             some = batch.filter(pa.array(batch.column("model").to_numpy() == model))
             grams = np.stack([some.column(x).to_numpy() for x in _GRAM]).astype(np.int64)
             for role, symbols in _roles(grams):
@@ -378,35 +418,57 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("model", *_GRAM)), pa.array([role] * some.num_rows, pa.string()), pa.array(np.ascontiguousarray(names).view(np.int64), pa.int64())], names=["model", *_GRAM, "role", "key"])
 
 
-def _joined_bits(scored: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, more_own, more_other): bits of the grams that were not among the broadcast rows, by joins with the whole models."""
-    asked = scored.select("row", F.explode("rest").alias("g")).select("row", "g.*")
+def _by_join(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the distinct grams of asked (model, a, b, c, d): log2p by the whole model, and known, whether the model has seen the character."""
     gram = ("model", *_GRAM)
-    keys = asked.select(*gram).distinct().mapInArrow(_asked, "model int, a int, b int, c int, d int, role string, key long")
+    keys = asked.distinct().mapInArrow(_asked, "model int, a int, b int, c int, d int, role string, key long")
     value = F.when(F.col("role").startswith("p"), F.col("log2p")).otherwise(F.col("backoff"))
     met = keys.join(rows.select("key", "log2p", "backoff"), "key", "left").withColumn("value", value)
     found = met.groupBy(*gram).agg(*[F.max(F.when(F.col("role") == f"{r}{k}", F.col("value"))).alias(f"{r}{k}") for k in range(1, ORDER + 1) for r in "ph"])
     log2p: Column = F.lit(-math.log2(CODE_POINTS))
     for k in range(1, ORDER + 1):
         log2p = F.coalesce(f"p{k}", F.coalesce(f"h{k}", F.lit(0.0)) + log2p)
+    return found.select(*gram, log2p.alias("log2p"), F.col("p1").isNotNull().alias("known"))
+
+
+def _joined_bits(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, more_own, more_other): bits of the grams that were not among the broadcast rows, by joins with the whole models."""
+    asked = scored.select("row", F.explode("rest").alias("g")).select("row", "g.*")
+    gram = ("model", *_GRAM)
     bits = -F.col("n") * F.col("log2p")
-    both = asked.join(found.select(*gram, log2p.alias("log2p")), [*gram]).groupBy("row")
+    both = asked.join(_by_join(asked.select(*gram), rows), [*gram]).groupBy("row")
     return both.agg(F.sum(F.when(F.col("model") == TRUSTED, bits)).alias("more_own"), F.sum(F.when(F.col("model") != TRUSTED, bits)).alias("more_other"))
 
 
+def _joined_words(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, opened): of texts with open words, the bits of each of these, by joins with the two whole models."""
+    spelled = scored.select("row", F.explode("spelled").alias("g")).select("row", "g.*")
+    asked = spelled.select(*_GRAM).distinct().select(F.explode(F.array(*map(F.lit, WORDWISE))).alias("model"), *_GRAM)
+    speaks = F.sum(F.when(F.col("model") == TOXIC, F.col("log2p")).otherwise(-F.col("log2p")))
+    grams = _by_join(asked, rows).groupBy(*_GRAM).agg(F.when(F.bool_or("known"), speaks).otherwise(0.0).alias("speaks"))
+    later = spelled.join(grams, [*_GRAM]).select("row", "word", (F.col("n") * F.col("speaks")).alias("bits"))
+    settled = scored.select("row", F.explode("open").alias("o")).select("row", "o.*")
+    words = settled.unionByName(later).groupBy("row", "word").agg(F.sum("bits").alias("bits"))
+    return words.groupBy("row").agg(F.collect_list("bits").alias("opened"))  # at most the words of a text
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, digest (of the text) and, of each row of docs: bits, the cross-entropy in bits a character; adjusted_bits, less
     the spread of its length; held_bits, the same under the model of the half of the trusted documents that the text isn't in; and
     toxic_bits, by which the most toxic words speak for the toxic model. Null without text, toxic_bits also without a toxic model. Perplexity is 2**bits."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("digest"), text_or_empty().alias("text"))
     scored = materialize(texts.mapInArrow(_scores(model.shared(docs.sparkSession)), _SCORED), "scored")
-    own, other = F.col("own"), F.col("other")
-    if not model.whole:
+    own, other, toxic = F.col("own"), F.col("other"), F.col("toxic_bits")
+    if model.tells_toxic and not all(model.whole[m] for m in WORDWISE):
+        largest = F.slice(F.sort_array(F.concat("most", "opened"), False), 1, TOXIC_WORDS)
+        scored = scored.join(_joined_words(scored, model.rows), "row", "left")
+        toxic = F.when(F.col("opened").isNull(), toxic).otherwise(F.round(F.aggregate(largest, F.lit(0.0), lambda x, y: x + y), 6))
+    if not all(model.whole[m] for m in SCORING):
         scored = scored.join(_joined_bits(scored, model.rows), "row", "left")
         own, other = (c + F.coalesce(m, F.lit(0.0)) for c, m in ((own, "more_own"), (other, "more_other")))
     length = F.nullif("n_chars", F.lit(0))
     bits, spread = lambda total: total / length, SPREAD / F.sqrt(length)
-    return scored.select("doc_id", "lang", "digest", F.round(bits(own), 6).alias("bits"), F.round(bits(own) - spread, 6).alias("adjusted_bits"), F.round(bits(other) - spread, 6).alias("held_bits"), "toxic_bits")
+    return scored.select("doc_id", "lang", "digest", F.round(bits(own), 6).alias("bits"), F.round(bits(own) - spread, 6).alias("adjusted_bits"), F.round(bits(other) - spread, 6).alias("held_bits"), toxic.alias("toxic_bits"))
 
 
 def thresholds(trusted: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from outlinelake.llm.quality import classify
+import pytest
+
+from outlinelake.llm.quality import classify, judge
 
 
 def _words(rng, n):
@@ -42,3 +44,24 @@ def test_text_outside_the_alphabet_is_not_cheap(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["keep"] for r in classify(docs, labels).collect()}
     assert not any(got[r[0]] for r in other) and all(got[i] for i in range(50))
+
+
+def test_toxic_words_are_judged_by_the_whole_models(spark):
+    """Whatever rows are broadcast, each text's most toxic words have the bits that the whole models give."""
+    rng = random.Random(8)
+
+    def text(bad):
+        w = _words(rng, 80)
+        for _ in range(3 * bad):
+            w[rng.randrange(len(w))] = "".join(rng.choice("zqxkwj") for _ in range(5))
+        return " ".join(w)
+
+    rows = [(i, text(i % 2), "en") for i in range(120)] + [(200, "", "en"), (201, None, "en"), (202, "字", "en"), (203, "\x00 \x00zq \t", None), (204, "  ", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    want, *others = ({r["doc_id"]: (r["toxic_bits"], r["keep"]) for r in judge(docs, labels, n).collect()} for n in (1 << 20, 0, 200, 700))
+    assert len(want) == len(rows) and want[200][0] is None and want[203][0] is not None
+    assert any(b and b > 10 for b, _ in want.values())
+    for got in others:
+        assert {k: b if b is None else pytest.approx(b, abs=1e-4) for k, (b, _) in want.items()} == {k: b for k, (b, _) in got.items()}
+        assert {k: keep for k, (_, keep) in want.items()} == {k: keep for k, (_, keep) in got.items()}
