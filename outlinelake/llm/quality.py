@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlinelake.llm.common import materialize, mix, release_words, text_or_empty
+from outlinelake.llm.common import materialize, mix, release_memory, release_words, rows_at_a_time, text_or_empty
 
 ORDER = 4
 #: Code points that share what the unigrams leave.
@@ -47,8 +47,8 @@ LEAST_TOXIC = 20
 #: Rows of each model that are broadcast, 16 bytes each. The others are joined.
 FREQUENT = 1 << 20
 #: Code points worked on at a time.
-CHUNK = 1 << 21
-#: Rows of an Arrow batch turned into Python texts at a time, and of counts before a task sums them up.
+CHUNK = 1 << 20
+#: Rows of texts in an Arrow batch, which a task takes from Spark at a time; and of counts before a task sums them up.
 ROWS = 500
 HELD = 1 << 19
 #: Numbers of codes up to which they are told apart by direct address.
@@ -86,7 +86,9 @@ def _ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
         return ranks, len(seen)
     there = np.zeros(size, dtype=bool)
     there[codes] = True
-    return (np.cumsum(there, dtype=np.int64) - 1)[codes], int(there.sum())
+    ranks = np.cumsum(there, dtype=np.int32)
+    ranks -= 1
+    return ranks[codes].astype(np.int64), int(there.sum())
 
 
 class Chunk:
@@ -160,6 +162,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= HELD // 2:
                     yield batch_of(*held[0])
                     held, size = [], 0
+        release_memory()
     if held:
         yield batch_of(*summed())
 
@@ -245,7 +248,8 @@ class Model:
 def train(labelled: DataFrame, frequent: int = FREQUENT) -> Model:
     """labelled: text, and models: the classes that it is of. Without trusted text all code points are equally probable."""
     grams = labelled.select(text_or_empty().alias("text"), "models").mapInArrow(_gram_counts, _COUNTS)
-    classes = materialize(grams.groupBy("model", *_GRAM).agg(F.sum("n").alias("n")), "classes")
+    with rows_at_a_time(labelled.sparkSession, ROWS):
+        classes = materialize(grams.groupBy("model", *_GRAM).agg(F.sum("n").alias("n")), "classes")
     of = F.create_map(*[x for c, models in CLASSES.items() for x in (F.lit(c), F.array(*map(F.lit, models)))])
     counts = materialize(classes.withColumn("model", F.explode(of[F.col("model")])).groupBy("model", *_GRAM).agg(F.sum("n").alias("n")), "grams")
     rows = materialize(model_rows(counts), "model")
@@ -403,6 +407,8 @@ def _scores(shared):
                 names=[x.split()[0] for x in _SCORED.split(", ")],
             )
             row += count
+            chunk = None
+            release_memory()
 
     return run
 
@@ -457,7 +463,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     the spread of its length; held_bits, the same under the model of the half of the trusted documents that the text isn't in; and
     toxic_bits, by which the most toxic words speak for the toxic model. Null without text, toxic_bits also without a toxic model. Perplexity is 2**bits."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("digest"), text_or_empty().alias("text"))
-    scored = materialize(texts.mapInArrow(_scores(model.shared(docs.sparkSession)), _SCORED), "scored")
+    with rows_at_a_time(docs.sparkSession, ROWS):
+        scored = materialize(texts.mapInArrow(_scores(model.shared(docs.sparkSession)), _SCORED), "scored")
     own, other, toxic = F.col("own"), F.col("other"), F.col("toxic_bits")
     if model.tells_toxic and not all(model.whole[m] for m in WORDWISE):
         largest = F.slice(F.sort_array(F.concat("most", "opened"), False), 1, TOXIC_WORDS)

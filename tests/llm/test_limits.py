@@ -140,3 +140,29 @@ def test_benchmark_places_do_not_depend_on_the_windows(monkeypatch):
     monkeypatch.setattr(decontamination, "HITS", 1)
     assert list(decontamination._found(pa.array(texts), probes)) == found
     assert pieces == 1 < len(list(probes.hits(decontamination._gram_hashes(decontamination._fold(texts[-2])[0]))))
+
+
+def test_ranks_of_many_codes_take_little_memory():
+    """Beside each of up to DENSE codes stood two 8-byte numbers: 537 MB and more at the most."""
+    import tracemalloc
+
+    import numpy as np
+
+    from outlinelake.llm import quality
+
+    codes = np.array([5, quality.DENSE - 1, 5, 0])
+    tracemalloc.start()
+    ranks, n = quality._ranked(codes, quality.DENSE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ranks.tolist(), n) == ([1, 2, 1, 0], 3) and peak < 6 * quality.DENSE
+
+
+def test_rows_at_a_time(spark):
+    from outlinelake.llm.common import rows_at_a_time
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(key), lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with rows_at_a_time(spark, 70):
+        assert max(r["n"] for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()) == 70
+    assert spark.conf.get(key) == before
