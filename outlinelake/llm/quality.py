@@ -86,9 +86,10 @@ def _ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
         return ranks, len(seen)
     there = np.zeros(size, dtype=bool)
     there[codes] = True
-    ranks = np.cumsum(there, dtype=np.int32)
-    ranks -= 1
-    return ranks[codes].astype(np.int64), int(there.sum())
+    seen = np.flatnonzero(there)
+    ranks = np.empty(size, dtype=np.int32)
+    ranks[seen] = np.arange(len(seen))
+    return ranks[codes].astype(np.int64), len(seen)
 
 
 class Chunk:

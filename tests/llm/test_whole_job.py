@@ -65,3 +65,26 @@ def test_toxic_words_are_judged_by_the_whole_models(spark):
     for got in others:
         assert {k: b if b is None else pytest.approx(b, abs=1e-4) for k, (b, _) in want.items()} == {k: b for k, (b, _) in got.items()}
         assert {k: keep for k, (_, keep) in want.items()} == {k: keep for k, (_, keep) in got.items()}
+
+
+def test_pipeline_judges_by_the_whole_models(spark, tmp_path, monkeypatch):
+    """Toxic text is found with all of the models' rows, however few of them the pipeline's first stage broadcasts."""
+    import functools
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+
+    def text(bad):
+        w = _words(rng, 400)
+        for word in ("zgrubb", "qwuck", "zgrubb") * bad:
+            w[rng.randrange(len(w))] = word
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text(i % 2), "en", "web", 0) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "classify", functools.partial(classify, frequent=20))
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    monkeypatch.undo()
+    assert kept == {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept and not any(i % 2 for i in kept)
